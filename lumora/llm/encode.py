@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +141,7 @@ class WordEncoder:
             ready = got.filter(last).select(["w", "pos", "tok"])
             con.register("ready", ready)
             con.execute("INSERT INTO done SELECT * FROM ready")
-            todo = got.filter(pa.compute.invert(last)).select(["w", "pos", "tok"])
+            todo = got.filter(pc.invert(last)).select(["w", "pos", "tok"])
         rows = con.sql("SELECT w, list(tok ORDER BY pos) AS ids FROM done GROUP BY w ORDER BY w").to_arrow_table()
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
         ids = rows["ids"].combine_chunks()
