@@ -7,6 +7,13 @@ import importlib
 MODULES = [
     "lumora.operators.timestamps",
     "lumora.operators.nearby",
+    "lumora.operators.geo",
+    "lumora.operators.library",
+    "lumora.operators.search",
+    "lumora.operators.people",
+    "lumora.operators.fleet",
+    "lumora.operators.story",
+    "lumora.streaming.flows",
 ]
 
 
