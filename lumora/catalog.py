@@ -13,6 +13,7 @@ MODULES = [
     "lumora.operators.people",
     "lumora.operators.fleet",
     "lumora.operators.story",
+    "lumora.operators.curation",
     "lumora.streaming.flows",
 ]
 

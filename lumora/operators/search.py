@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from functools import reduce
 
@@ -338,7 +337,3 @@ def rich_set(spark: SparkSession, d: str) -> DataFrame:
     n = (F.length("description") + F.length(F.coalesce("ocr_text", F.lit("")))).alias("richness")
     return captions(spark, d).filter("description is not null").select("image_id", n).filter("richness >= 100")
 
-
-def half_up(x: float) -> float:
-    """Rounded half away from zero, as SQL does."""
-    return math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)

@@ -14,6 +14,7 @@ from lumora.functions.geo import geohash, geohash_sql, haversine_km, haversine_s
 from lumora.operators.search import tokens
 from lumora.operators.sequence import running_sum, with_day, with_previous
 from lumora.registry import query
+from lumora.session import cut
 from lumora.tables import table
 from lumora.views import SQL_CAP, SQL_FACE, SQL_META, SQL_PER, captions, faces, metadata, perception
 
@@ -228,9 +229,13 @@ def album_points(spark: SparkSession, d: str) -> DataFrame:
     return metadata(spark, d).filter("location_country is not null").select(F.col("location_country").alias("album"), "image_id", "taken", pos("gps_latitude").alias("lat"), pos("gps_longitude").alias("lng"))
 
 
-def moment_table(spark: SparkSession, d: str) -> DataFrame:
-    """Timed moments with their span and mean position."""
-    m = moments(album_points(spark, d)).filter("moment > 0")
+def timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Timed points with their moment, materialised: chapters and heroes both start from it."""
+    return cut(moments(album_points(spark, d)).filter("moment > 0"))
+
+
+def moment_table(m: DataFrame) -> DataFrame:
+    """Moments of a timeline with their span and mean position."""
     return m.groupBy("album", "moment").agg(
         F.count(F.lit(1)).alias("images"), F.min("taken").alias("start"), F.max("taken").alias("end"), F.min("t").alias("start_t"), F.max("t").alias("end_t"),
         F.avg("lat").alias("lat"), F.avg("lng").alias("lng"),
@@ -249,13 +254,13 @@ _MOM = f"""WITH {SQL_META}, {SQL_PER}, pts AS (SELECT location_country AS album,
 @query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat, 6) AS lat, round(lng, 6) AS lng FROM mt')
 def moments_q(spark: SparkSession, d: str) -> DataFrame:
     """Moments of each album."""
-    return moment_table(spark, d).select("album", "moment", "images", "start", "end", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    return moment_table(timeline(spark, d)).select("album", "moment", "images", "start", "end", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query("chapters", f'{_MOM} SELECT album, chapter, count(*) AS moments, sum(images)::BIGINT AS images, min(start) AS start, max("end") AS "end" FROM ch GROUP BY 1, 2')
 def chapters_q(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of each album."""
-    c = chapters(moment_table(spark, d))
+    c = chapters(moment_table(timeline(spark, d)))
     return c.groupBy("album", "chapter").agg(F.count(F.lit(1)).alias("moments"), F.sum("images").alias("images"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
@@ -271,7 +276,7 @@ def chapter_titles(spark: SparkSession, d: str) -> DataFrame:
 @query("chapter_gaps", f"{_MOM}, c AS (SELECT album, chapter, min(start_t) AS a, max(end_t) AS b FROM ch GROUP BY 1, 2) SELECT album, chapter, (a - lag(b) OVER (PARTITION BY album ORDER BY chapter)) AS gap_seconds FROM c QUALIFY gap_seconds IS NOT NULL")
 def chapter_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Time between chapters, by joining each with the next number."""
-    c = chapters(moment_table(spark, d)).groupBy("album", "chapter").agg(F.min("start_t").alias("a"), F.max("end_t").alias("b"))
+    c = chapters(moment_table(timeline(spark, d))).groupBy("album", "chapter").agg(F.min("start_t").alias("a"), F.max("end_t").alias("b"))
     prev = c.select("album", (F.col("chapter") + 1).alias("chapter"), F.col("b").alias("pb"))
     return c.join(prev, ["album", "chapter"]).select("album", "chapter", (F.col("a") - F.col("pb")).alias("gap_seconds"))
 
@@ -288,16 +293,16 @@ def base_scores(spark: SparkSession, d: str) -> DataFrame:
 _BASE = f"{SQL_FACE}, ar AS (SELECT image_id, max({_AREA}) AS area FROM face GROUP BY 1), bs AS (SELECT image_id, perception_iaa AS iaa, 0.35::DOUBLE * coalesce(perception_iaa, 0) / 10 + 0.15::DOUBLE * coalesce(perception_iqa, 0) / 10 + 0.25::DOUBLE * least(1, coalesce(area, 0) / 40000) AS score FROM per LEFT JOIN ar USING (image_id))"
 
 
-@query("hero_base_score", f"WITH {SQL_PER}, {_BASE} SELECT image_id, round(score, 4) AS score FROM bs")
+@query("hero_base_score", f"WITH {SQL_PER}, {_BASE} SELECT image_id, round(score + 1e-9, 6) AS score FROM bs")
 def hero_base_score(spark: SparkSession, d: str) -> DataFrame:
     """Base score of every image."""
-    return base_scores(spark, d).select("image_id", F.round("score", 4).alias("score"))
+    return base_scores(spark, d).select("image_id", F.round(F.col("score") + 1e-9, 6).alias("score"))
 
 
 @query("moment_hero", f"{_MOM}, {_BASE} SELECT album, moment, arg_max(image_id, {{'s': coalesce(round(score, 9), 0), 't': -t, 'i': -image_id}}) AS hero FROM mo LEFT JOIN bs USING (image_id) GROUP BY 1, 2")
 def moment_hero(spark: SparkSession, d: str) -> DataFrame:
     """The best image of each moment, the first of equals."""
-    m = moments(album_points(spark, d)).filter("moment > 0").join(base_scores(spark, d), "image_id", "left")
+    m = timeline(spark, d).join(base_scores(spark, d), "image_id", "left")
     key = F.struct(F.coalesce(F.round("score", 9), F.lit(0.0)), -F.col("t"), -F.col("image_id"))
     return m.groupBy("album", "moment").agg(F.max_by("image_id", key).alias("hero"))
 
@@ -305,8 +310,9 @@ def moment_hero(spark: SparkSession, d: str) -> DataFrame:
 @query("chapter_cover", f"{_MOM}, {_BASE} SELECT ch.album, chapter, arg_max(image_id, {{'a': coalesce(iaa, -1), 'i': -image_id}}) AS cover FROM mo JOIN ch ON ch.album = mo.album AND ch.moment = mo.moment LEFT JOIN bs USING (image_id) GROUP BY 1, 2")
 def chapter_cover(spark: SparkSession, d: str) -> DataFrame:
     """The most aesthetic image of each chapter."""
-    c = chapters(moment_table(spark, d)).select("album", "moment", "chapter")
-    m = moments(album_points(spark, d)).filter("moment > 0").join(c, ["album", "moment"]).join(base_scores(spark, d), "image_id", "left")
+    line = timeline(spark, d)
+    c = chapters(moment_table(line)).select("album", "moment", "chapter")
+    m = line.join(c, ["album", "moment"]).join(base_scores(spark, d), "image_id", "left")
     return m.groupBy("album", "chapter").agg(F.max_by("image_id", F.struct(F.coalesce("iaa", F.lit(-1.0)), -F.col("image_id"))).alias("cover"))
 
 
@@ -324,8 +330,9 @@ def chapter_hero_diverse(spark: SparkSession, d: str) -> DataFrame:
     Candidates are the moment's three best by base score with a face vector;
     a chapter's moments are bounded by its time span.
     """
-    c = chapters(moment_table(spark, d)).select("album", "moment", "chapter")
-    m = moments(album_points(spark, d)).filter("moment > 0").join(base_scores(spark, d), "image_id", "left")
+    line = timeline(spark, d)
+    c = chapters(moment_table(line)).select("album", "moment", "chapter")
+    m = line.join(base_scores(spark, d), "image_id", "left")
     best = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "image_id")), asc=False), 1, 3)
     cand = m.groupBy("album", "moment").agg(best.alias("x")).select("album", "moment", F.explode("x").alias("x")).select("album", "moment", "x.score", "x.image_id")
     vec = table(spark, d, "face_occurrences").filter("embedding is not null and size(embedding) = 512").select("image_id", "id", "embedding")

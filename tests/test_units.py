@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.functions.geo import geohash, zoom_precision
-from lumora.operators import fleet, geo, library, people, story
+from lumora.operators import curation, fleet, geo, library, people, story
 from lumora.plans.request import SearchRequest, has_cartesian
 from lumora.sources import files
 from lumora.tables import conform, current_rows, table_or_empty
@@ -111,3 +111,8 @@ def test_writers(spark, tmp_path):
     assert "&lt;T&gt;" in page and page.count("<li>") == 6
     files.write_results(spark.range(3), str(tmp_path / "o"), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 3
+
+
+def test_name_spans():
+    assert curation.spans("photos of Anna Bell and Tom in rain", ["Anna", "Anna Bell", "Tom"]) == (["Anna Bell", "Tom"], "in rain")
+    assert curation.spans("a tomato", ["Tom"]) == ([], "a tomato")
