@@ -23,8 +23,8 @@ def cells(points: DataFrame, precision: int, limit: int | None = None) -> DataFr
     g = (
         points.groupBy(geohash(F.col("lat"), F.col("lng"), precision).alias("cell"))
         .agg(
-            F.round(F.avg("lat"), 6).alias("lat"),
-            F.round(F.avg("lng"), 6).alias("lng"),
+            F.round(F.avg("lat") + 1e-9, 6).alias("lat"),
+            F.round(F.avg("lng") + 1e-9, 6).alias("lng"),
             F.count(F.lit(1)).alias("images"),
             F.min("image_id").alias("first_image"),
         )
@@ -42,7 +42,7 @@ _PTS = f"WITH {SQL_META}, p AS (SELECT *, gps_latitude AS lat, gps_longitude AS
 
 def _cells_sql(precision: int, where: str = "true", limit: int | None = None) -> str:
     tail = f"ORDER BY images DESC, cell LIMIT {limit}" if limit else ""
-    return f"""{_PTS} SELECT {geohash_sql('lat', 'lng', precision)} AS cell, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng,
+    return f"""{_PTS} SELECT {geohash_sql('lat', 'lng', precision)} AS cell, round(avg(lat) + 1e-9, 6) AS lat, round(avg(lng) + 1e-9, 6) AS lng,
       count(*) AS images, min(image_id) AS first_image FROM p WHERE {where} GROUP BY 1 {tail}"""
 
 
@@ -160,12 +160,12 @@ def geo_furthest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "geo_text_centroid",
-    f"{_PTS} SELECT round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, count(*) AS images FROM p WHERE location_city ILIKE '%vel%' OR location_country ILIKE '%vel%'",
+    f"{_PTS} SELECT round(avg(lat) + 1e-9, 6) AS lat, round(avg(lng) + 1e-9, 6) AS lng, count(*) AS images FROM p WHERE location_city ILIKE '%vel%' OR location_country ILIKE '%vel%'",
 )
 def geo_text_centroid(spark: SparkSession, d: str) -> DataFrame:
     """E10 G-A9 P4: centre of the images whose place matches a text."""
     p = located(metadata(spark, d)).filter(F.col("location_city").ilike("%vel%") | F.col("location_country").ilike("%vel%"))
-    return p.agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng"), F.count(F.lit(1)).alias("images"))
+    return p.agg(F.round(F.avg("lat") + 1e-9, 6).alias("lat"), F.round(F.avg("lng") + 1e-9, 6).alias("lng"), F.count(F.lit(1)).alias("images"))
 
 
 def spread_sample(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
@@ -237,14 +237,14 @@ _GAP_SQL = f"""WITH {SQL_META},
     CASE WHEN pok AND nok THEN p.lng + (n.lng - p.lng) * share WHEN pok THEN p.lng WHEN nok THEN n.lng END AS lng,
     CASE WHEN pok AND nok THEN greatest(0.1, 1 - (gp + gn) / 21600::DOUBLE) WHEN pok THEN greatest(0.1, 0.7 * (1 - gp / 21600::DOUBLE))
          WHEN nok THEN greatest(0.1, 0.7 * (1 - gn / 21600::DOUBLE)) END AS confidence FROM k)
-  SELECT image_id, round(lat, 6) AS lat, round(lng, 6) AS lng, round(confidence, 6) AS confidence FROM f WHERE lat IS NOT NULL"""
+  SELECT image_id, round(lat + 1e-9, 6) AS lat, round(lng + 1e-9, 6) AS lng, round(confidence + 1e-9, 6) AS confidence FROM f WHERE lat IS NOT NULL"""
 
 
 @query("geo_gapfill_preview", _GAP_SQL)
 def geo_gapfill_preview(spark: SparkSession, d: str) -> DataFrame:
     """Positions proposed for images without one, by camera, within six hours."""
     f = gap_fill(metadata(spark, d).filter("camera_model is not null"), ["camera_model"], 360)
-    return f.select("image_id", *[F.round(c, 6).alias(c) for c in ("lat", "lng", "confidence")])
+    return f.select("image_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("lat", "lng", "confidence")])
 
 
 @query("geo_gapfill_apply", f"SELECT image_id, lat, lng, 'interpolated' AS gps_source, {geohash_sql('lat', 'lng', 6)} AS cell FROM ({_GAP_SQL}) WHERE confidence >= 0.5")
@@ -316,7 +316,7 @@ def stops(points: DataFrame, group: list[str], minutes: float = 30, precision: i
     same = (F.col("prev.cell") == F.col("cell")) & (F.col("t") - F.col("prev.t") <= minutes * 60)
     p = running_sum(p, group, "image_id", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1), "stop")
     return p.groupBy(*group, "stop").agg(
-        F.count(F.lit(1)).alias("images"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng"),
+        F.count(F.lit(1)).alias("images"), F.round(F.avg("lat") + 1e-9, 6).alias("lat"), F.round(F.avg("lng") + 1e-9, 6).alias("lng"),
         F.min_by("image_id", F.struct("t", "image_id")).alias("cover"), F.min("taken").alias("start"), F.max("taken").alias("end"),
     )
 
@@ -326,7 +326,7 @@ def stops(points: DataFrame, group: list[str], minutes: float = 30, precision: i
     f"""{_PTS}, c AS (SELECT *, CAST(epoch(taken) AS BIGINT) AS t, {geohash_sql('lat', 'lng', 6)} AS cell FROM p WHERE taken IS NOT NULL AND camera_model IS NOT NULL),
       n AS (SELECT *, CASE WHEN coalesce(lag(cell) OVER w = cell AND t - lag(t) OVER w <= 1800, false) THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY camera_model ORDER BY t, image_id)),
       s AS (SELECT *, sum(new) OVER (PARTITION BY camera_model ORDER BY t, image_id) AS stop FROM n)
-      SELECT camera_model, CAST(stop AS BIGINT) AS stop, count(*) AS images, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng,
+      SELECT camera_model, CAST(stop AS BIGINT) AS stop, count(*) AS images, round(avg(lat) + 1e-9, 6) AS lat, round(avg(lng) + 1e-9, 6) AS lng,
         arg_min(image_id, {{'t': t, 'i': image_id}}) AS cover, min(taken) AS start, max(taken) AS "end" FROM s GROUP BY 1, 2""",
 )
 def trip_stops(spark: SparkSession, d: str) -> DataFrame:

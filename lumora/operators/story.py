@@ -251,10 +251,10 @@ _MOM = f"""WITH {SQL_META}, {SQL_PER}, pts AS (SELECT location_country AS album,
   ch AS (SELECT *, sum(nw) OVER (PARTITION BY album ORDER BY start_t, moment)::BIGINT AS chapter FROM cn)"""
 
 
-@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat, 6) AS lat, round(lng, 6) AS lng FROM mt')
+@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat + 1e-9, 6) AS lat, round(lng + 1e-9, 6) AS lng FROM mt')
 def moments_q(spark: SparkSession, d: str) -> DataFrame:
     """Moments of each album."""
-    return moment_table(timeline(spark, d)).select("album", "moment", "images", "start", "end", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    return moment_table(timeline(spark, d)).select("album", "moment", "images", "start", "end", F.round(F.col("lat") + 1e-9, 6).alias("lat"), F.round(F.col("lng") + 1e-9, 6).alias("lng"))
 
 
 @query("chapters", f'{_MOM} SELECT album, chapter, count(*) AS moments, sum(images)::BIGINT AS images, min(start) AS start, max("end") AS "end" FROM ch GROUP BY 1, 2')
