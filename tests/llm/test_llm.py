@@ -227,6 +227,31 @@ def test_large_nodes_are_split(spark, vectors, monkeypatch):
     assert (t > 0).sum(axis=1).max() == 1
 
 
+def test_many_groups_in_a_large_node(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    label = np.repeat(np.arange(60), 5)
+    x = rng.standard_normal((60, 512))[label] + 0.6 * rng.standard_normal((300, 512))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    ids = df.select("id")
+    chain = df.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(256).cast("short").alias("s")).filter("b < 300")
+    graph = cluster.neighbour_graph
+    monkeypatch.setattr(cluster, "neighbour_graph", lambda *a, **k: (chain, graph(*a, **k)[1]))
+    monkeypatch.setattr(cluster, "LOCAL", 225)
+    got = {r.id: (r.cluster, r.closeness) for r in cluster.clusters(df, "id", "embedding", 512).collect()}
+    assert len(got) == ids.count()
+    t = pd.crosstab(pd.Series([got[i][0] for i in range(300)]), label)
+    assert (t > 0).sum(axis=1).max() == 1 and min(c for _, c in got.values()) > 0
+
+
+def test_partitions_keep_groups_after_a_join(spark):
+    rows = cluster.cut(spark.range(4000).select((F.col("id") % 200).alias("node"), "id").repartition(6))
+    none = cluster.cut(spark.range(0).select(F.col("id").alias("node")))
+    sizes = lambda t: iter(t.group_by("node").aggregate([("id", "count")]).select(["node", "id_count"]).to_batches())
+    parts = neighbours.parallelism(spark)
+    got = neighbours.per_partition(rows.join(none, "node", "left_anti"), "node", sizes, "node long, n long", parts).collect()
+    assert len(got) == 200 and all(r.n == 20 for r in got)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 50), (101, 50)], "a long, b long")
     n = spark.createDataFrame([(i,) for i in [*range(41), 50, 100, 101, 200]], "id long")
