@@ -245,7 +245,7 @@ def test_many_groups_in_a_large_node(spark, monkeypatch):
 
 def test_partitions_keep_groups_after_a_join(spark):
     rows = cluster.cut(spark.range(4000).select((F.col("id") % 200).alias("node"), "id").repartition(6))
-    none = cluster.cut(spark.range(0).select(F.col("id").alias("node")))
+    none = cluster.cut(spark.range(1000, 1001).select(F.col("id").alias("node")))
     sizes = lambda t: iter(t.group_by("node").aggregate([("id", "count")]).select(["node", "id_count"]).to_batches())
     parts = neighbours.parallelism(spark)
     got = neighbours.per_partition(rows.join(none, "node", "left_anti"), "node", sizes, "node long, n long", parts).collect()
