@@ -1,14 +1,16 @@
 """Session settings and reliable materialisation.
 
-Lineage is cut only through ``checkpoint()`` in the shared folder that the
+Lineage is cut only through tables written to the shared folder that the
 cluster names in ``spark.checkpoint.dir``; every executor can read those files,
 so the loss of an executor costs a retry and not the job.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,11 +58,51 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back: no lineage, sizes taken from the files.
+
+    A checkpointed plan would inherit the size its optimiser guessed, and in a
+    loop of joins such guesses multiply. :func:`discard` removes the files.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path  # noqa: SLF001
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete the files of frames made by :func:`cut` that nothing reads any more.
+
+    Also lets Spark drop the shuffle files of plans nobody refers to.
+    """
+    for df in dfs:
+        path = getattr(df, "_cut_path", None)
+        if path is None:
+            continue
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+        df._cut_path = None  # noqa: SLF001
+    if dfs:
+        release(dfs[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans nobody refers to any more."""
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+    except AttributeError:
+        pass
 
 
 def parallelism(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Partitions that hold at most about ``per_task`` rows each, and no fewer than the session's."""
+    return max(parallelism(spark), -(-rows // per_task))
