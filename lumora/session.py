@@ -72,6 +72,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``df`` with one row for each ``key``, as a table in the shared folder in ``parts`` buckets of ``key``.
+
+    Joins on ``key`` then move only the other side. Of several rows of one key
+    any one stays.
+    """
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.repartition(parts, key).dropDuplicates([key]).write.bucketBy(parts, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._cut_path, out._cut_name = path, name  # noqa: SLF001
+    return out
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete the files of frames made by :func:`cut` that nothing reads any more.
 
@@ -85,6 +100,8 @@ def discard(*dfs: DataFrame) -> None:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
         df._cut_path = None  # noqa: SLF001
+        if hasattr(df, "_cut_name"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._cut_name}")  # noqa: SLF001
     if dfs:
         release(dfs[0].sparkSession)
 
