@@ -66,8 +66,13 @@ def baskets_of(captions: DataFrame) -> DataFrame:
 def fit_configuration(
     item_degrees: np.ndarray, item_n: np.ndarray, sizes: np.ndarray, size_n: np.ndarray, steps: int = 500, tol: float = 1e-9
 ) -> tuple[np.ndarray, np.ndarray]:
-    """x by distinct item degree and y by distinct basket size, by fixed-point iteration."""
+    """x by distinct item degree and y by distinct basket size, by fixed-point iteration.
+
+    Items and baskets must have the same number of entries in all.
+    """
     k, s = item_degrees.astype(float), sizes.astype(float)
+    if abs((k * item_n).sum() - (s * size_n).sum()) > 1e-6 * max((s * size_n).sum(), 1.0):
+        raise ValueError("item degrees and basket sizes differ in their sums")
     total = max((k * item_n).sum(), 1.0)
     x, y = k / math.sqrt(total), s / math.sqrt(total)
     for _ in range(steps):
@@ -135,7 +140,8 @@ def cooccurrence(baskets: DataFrame, min_count: int = 5, min_share: float = 0.0,
     nothing; counts, N and the null model still rest on all items and baskets.
 
     Columns: ``n_ab``, ``n_a``, ``n_b``, ``n`` (baskets), ``expected`` under the
-    null, ``lift`` (n_ab n / (n_a n_b)), ``log10_p`` and ``significant``. Empty
+    null, ``lift`` (n_ab n / (n_a n_b)), ``log10_p`` and ``significant`` (at the
+    false-discovery rate ``fdr`` over all pairs of the items). Empty
     baskets do not count. An empty table gives no rows.
     """
     spark = baskets.sparkSession
@@ -179,11 +185,16 @@ def cooccurrence(baskets: DataFrame, min_count: int = 5, min_share: float = 0.0,
 
     schema = "item_a string, item_b string, n_ab long, n_a long, n_b long, n long, expected double, lift double, log10_p double"
     scored = cut(pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b").mapInPandas(surprise, schema))
-    # Benjamini-Hochberg over bins of a thousandth of a decade, so that ranks need no global sort
-    bins = scored.groupBy(F.ceil(F.col("log10_p") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("c")).orderBy("bin").toPandas()
+    # Benjamini-Hochberg over all pairs of items: one that did not reach the count was tested too, and not
+    # found. Ranks come from bins of a thousandth of a decade; what is below fdr / m is significant whatever
+    # its rank and shares a bin, so there are some 1000 log10(m / fdr) bins
+    items = int(deg["c"].sum()) if n else 0
+    m = max(items * (items - 1) / 2, 1.0)
+    least = math.log10(fdr / m)
+    bins = scored.groupBy(F.ceil(F.greatest(F.col("log10_p"), F.lit(least - 0.01)) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("c")).orderBy("bin").toPandas()
     limit = -math.inf
     if len(bins):
-        rank, m = bins["c"].cumsum().to_numpy(), int(bins["c"].sum())
+        rank = bins["c"].cumsum().to_numpy()
         ok = bins["bin"].to_numpy() / 1000 <= np.log10(fdr * rank / m)
         limit = float(bins["bin"].to_numpy()[ok].max() / 1000) if ok.any() else -math.inf
     return scored.withColumn("significant", F.col("log10_p") <= F.lit(limit))

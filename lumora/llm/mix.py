@@ -79,7 +79,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     ``source``, ``weight`` and ``max_repeats``. A target without documents has
     no tokens and gives none. A null weight counts as 0, null repeats as 1.
     ``total`` defaults to the tokens of all target sources. ``misses`` marks
-    positive weights whose share of ``total`` is above the cap.
+    positive weights that water-filling leaves below their share of ``total``.
     """
     t = (
         targets.filter(F.col("source").isNotNull())
@@ -101,7 +101,7 @@ def mix_plan(sizes: DataFrame, targets: DataFrame, total: float | None = None) -
     t["planned_tokens"] = water_fill(t["weight"].to_numpy(), t["cap_tokens"].to_numpy(), whole)
     t["repeats"] = np.where(t["tokens"] > 0, t["planned_tokens"] / t["tokens"].clip(lower=1), 0.0)
     t["planned_share"] = t["planned_tokens"] / max(t["planned_tokens"].sum(), 1.0)
-    t["misses"] = (t["weight"] > 0) & (t["target_tokens"] > t["cap_tokens"])
+    t["misses"] = (t["weight"] > 0) & (t["planned_tokens"] < t["target_tokens"] * (1 - 1e-12))
     return t
 
 
