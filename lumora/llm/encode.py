@@ -114,6 +114,7 @@ class WordEncoder:
         self.vocab = v = vocabulary(path)
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
+        self.con.execute("SET temp_directory = ''")  # what does not fit is an error, not a file of the machine
         self.con.execute("SET memory_limit = '700MB'")
         merges = pa.table({"l": v.left, "r": v.right, "rank": np.arange(len(v.left), dtype=np.int32), "made": v.made})
         self.con.register("merges_arrow", merges)

@@ -51,67 +51,90 @@ _KANA = re.compile(r"[぀-ゟ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _SPLIT = re.compile(r"(?<=[.!?。！？…])\s*|[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 _END = (".", "!", "?", "。", "！", "？", "…", ".\"", "”", "\"", "»", ":", ";", ")")
-_VOWELS = frozenset("aeiouyàáâäãåèéêëìíîïòóôöõùúûüœæ")
-_PLAIN = frozenset(" \n\r\t.,!?'\"’“”„«»:;-–—()…¿¡。、！？「」・ー")
+_VOWEL = re.compile("[aeiouyàáâäãåèéêëìíîïòóôöõùúûüœæ]+")
+_DIGIT = re.compile(r"\d+")
+_NO_LETTER = re.compile(r"[\d'’]+")
+_SYMBOL = re.compile(r"(?:_|[^\w\s.,!?'\"’“”„«»:;\-–—()…¿¡。、！？「」・ー])+")
+_SCRIPT = re.compile(r"[぀-ヿ㐀-鿿]")
+
+
+def _covered(pattern: re.Pattern[str], text: str) -> int:
+    """Characters of ``text`` in matches of ``pattern``."""
+    return len("".join(pattern.findall(text)))
+
+
+def _segment(s: str) -> tuple[int, int, list[str], int, int, bool, int, float]:
+    """Words, spaceless script, lowered words and whether a stripped segment reads like prose."""
+    words = _WORD.findall(s.lower().replace("’", "'"))
+    kana = cjk = 0
+    latin = words
+    if not s.isascii() and (cjk := len(_CJK.findall(s))):
+        kana = len(_KANA.findall(s))
+        latin = [w for w in words if not _SCRIPT.search(w)]
+    hit = sum(map(COMMON.__contains__, latin)) + 0.9 * kana / 2
+    if "'" in s or "’" in s:
+        hit += sum(w.split("'")[-1] in COMMON or w.split("'")[0] in COMMON for w in latin if "'" in w)
+    n = len(latin) + cjk / 2
+    bad = _covered(_SYMBOL, s)
+    return len(words), kana, latin, cjk, len(s), n >= 2 and hit >= 0.12 * n and bad <= 0.08 * len(s), bad, hit
 
 
 def text_stats(text: str | None) -> tuple | None:
     """Statistics of one text; None for null, empty and blank ones.
 
     Words are runs of letters or of digits. In scripts without spaces each
-    character counts as half a word and hiragana as the common words.
+    character counts as half a word and hiragana as the common words. A
+    segment is read once however often it is repeated.
     """
-    if text is None or not text.strip():
+    if text is None:
         return None
-    lines = [x for x in text.splitlines() if x.strip()]
-    chars = sum(not c.isspace() for c in text)
-    cjk, kana = len(_CJK.findall(text)), len(_KANA.findall(text))
-    words = _WORD.findall(text)
-    latin = [w for w in words if not _CJK.search(w)]
-    low = [w.lower().replace("’", "'") for w in latin]
-    n_words = len(latin) + cjk / 2
-    common = sum(w.split("'")[-1] in COMMON or w.split("'")[0] in COMMON for w in low) + 0.9 * kana / 2
-    digits = sum(c.isdigit() for c in text)
-    symbols = sum(not (c.isalnum() or c.isspace() or c in _PLAIN) for c in text) + text.count("�")
-    letters = [c for w in low for c in w if c.isalpha()]
-    vowels = sum(c in _VOWELS for c in letters)
-    prose = whole = 0
-    seen: dict[str, int] = {}
+    tokens = text.split()
+    if not tokens:
+        return None
+    lines = [x for x in text.splitlines() if not x.isspace() and x]
+    chars = sum(map(len, tokens))
+    low: list[str] = []
+    n_words = all_words = cjk = symbols = prose = whole = 0
+    common = 0.0
+    seen: dict[str, tuple] = {}
     for seg in _SPLIT.split(text):
         s = seg.strip()
         if not s:
             continue
-        whole += len(s)
-        if s not in seen:
-            ws = [w.lower() for w in _WORD.findall(s)]
-            k, c = len(_KANA.findall(s)), len(_CJK.findall(s))
-            n = len([w for w in ws if not _CJK.search(w)]) + c / 2
-            hit = sum(w.replace("’", "'").split("'")[-1] in COMMON or w.replace("’", "'").split("'")[0] in COMMON for w in ws) + 0.9 * k / 2
-            bad = sum(not (x.isalnum() or x.isspace() or x in _PLAIN) for x in s)
-            prose_like = n >= 2 and hit >= 0.12 * n and bad <= 0.08 * len(s)
-            seen[s] = 0
-            if prose_like:
-                prose += len(s)
-                seen[s] = len(s)
-    # a segment said again and again counts once as prose, and always in the whole
-    grams = [" ".join(low[i : i + 3]) for i in range(0, max(len(low) - 2, 0))] or low
-    if cjk > len(latin):
-        run = "".join(_CJK.findall(text))
-        grams = [run[i : i + 6] for i in range(max(len(run) - 5, 1))]
-    distinct = (len(set(grams)) + 1) / (len(grams) + 1)
-    tokens = len(text.split())
-    mean_len = (chars - cjk) / max(tokens, 1) if cjk <= len(latin) else 5.0
+        known = seen.get(s)
+        if known is None:
+            known = seen[s] = _segment(s)
+            # a segment said again and again counts once as prose, and always in the whole
+            prose += known[4] * known[5]
+        all_words += known[0]
+        low += known[2]
+        cjk += known[3]
+        whole += known[4]
+        symbols += known[6]
+        common += known[7]
+    n_words = len(low) + cjk / 2
+    symbols += text.count("\ufffd")
+    run = _NO_LETTER.sub("", "".join(low))
+    if cjk > len(low):
+        chain = "".join(_CJK.findall(text))
+        grams = {chain[i : i + 6] for i in range(max(len(chain) - 5, 1))}
+        n_grams = max(len(chain) - 5, 1)
+    elif len(low) > 2:
+        grams, n_grams = set(zip(low, low[1:], low[2:])), len(low) - 2
+    else:
+        grams, n_grams = set(low), len(low)
+    mean_len = (chars - cjk) / len(tokens) if cjk <= len(low) else 5.0
     return (
-        len(words),
+        all_words,
         len(lines),
         float(mean_len),
         min(common / max(n_words, 1), 1.0),
         prose / max(whole, 1),
         symbols / max(chars, 1),
-        digits / max(chars, 1),
+        _covered(_DIGIT, text) / max(chars, 1),
         math.log(max(mean_len, 1.0)),
-        distinct,
-        vowels / len(letters) if letters and cjk <= len(letters) else 0.4,
+        (len(grams) + 1) / (n_grams + 1),
+        _covered(_VOWEL, run) / len(run) if run and cjk <= len(run) else 0.4,
         math.log1p(n_words / max(len(lines), 1)),
         sum(x.strip().endswith(_END) for x in lines) / max(len(lines), 1),
     )
@@ -199,7 +222,7 @@ class Mixture:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_mixture(stats: DataFrame, components: int = 10, iterations: int = 12, floor: float = 0.02, start_rows: int = 4000) -> Mixture | None:
+def fit_mixture(stats: DataFrame, components: int = 14, iterations: int = 12, floor: float = 0.02, start_rows: int = 4000) -> Mixture | None:
     """EM over all rows of ``stats``; None if it has none.
 
     Means start from a k-means++ choice among at most ``start_rows`` rows taken
@@ -288,7 +311,7 @@ def name_components(model: Mixture) -> list[str]:
     return out
 
 
-def classify(df: DataFrame, key: str, text: str, components: int = 10, iterations: int = 12) -> DataFrame:
+def classify(df: DataFrame, key: str, text: str, components: int = 14, iterations: int = 12) -> DataFrame:
     """``key``, the statistics, ``kind`` and ``p_prose`` of each document with words.
 
     Null, empty and blank texts give no row; repeated keys give one row each.
