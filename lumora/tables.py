@@ -55,6 +55,19 @@ def current_rows(df: DataFrame, key: str, columns: list[str], version: str = "an
     )
 
 
+def current_columns(df: DataFrame, key: str, groups: list[tuple[str, ...]], version: str = "analyzed_at") -> DataFrame:
+    """Like :func:`current_rows`, with each group of columns an aggregate of its own.
+
+    The optimiser drops the aggregates of columns that a query does not use, so
+    that they are neither read nor shuffled. Among different rows of one instant
+    each group takes its own greatest values; a version's columns are otherwise
+    those of one row.
+    """
+    best = [F.max(F.struct(F.col(version), *[F.col(c) for c in g])).alias(f"_{i}") for i, g in enumerate(groups)]
+    columns = [F.col(f"_{i}.{c}").alias(c) for i, g in enumerate(groups) for c in g]
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*best).select(key, *columns)
+
+
 def usable_number(c: Column) -> Column:
     """True for a number that is neither null nor NaN nor infinite."""
     d = c.cast("double")

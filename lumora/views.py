@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.dates import taken_at, taken_sql
 from lumora.operators.nearby import valid_position
-from lumora.tables import current_rows, table
+from lumora.tables import current_columns, table
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
@@ -15,10 +15,16 @@ def images(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "images").dropDuplicates(["image_id"])
 
 
+def _current(spark: SparkSession, d: str, name: str, together: tuple[str, ...] = ()) -> DataFrame:
+    """Current rows of an analysis table; only columns that a query uses are read."""
+    t = table(spark, d, name)
+    alone = [(c,) for c in t.columns if c not in ("image_id", "analyzed_at", *together)]
+    return current_columns(t, "image_id", [together, *alone] if together else alone)
+
+
 def metadata(spark: SparkSession, d: str) -> DataFrame:
     """Current metadata, with ``taken`` and ``has_position``."""
-    t = table(spark, d, "analysis_metadata")
-    cur = current_rows(t, "image_id", [c for c in t.columns if c not in ("image_id", "analyzed_at")])
+    cur = _current(spark, d, "analysis_metadata", ("gps_latitude", "gps_longitude"))
     return cur.withColumn("taken", taken_at(F.col("date_time_original"))).withColumn(
         "has_position", valid_position(F.col("gps_latitude"), F.col("gps_longitude"))
     )
@@ -26,14 +32,12 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
 
 def captions(spark: SparkSession, d: str) -> DataFrame:
     """Current captions."""
-    t = table(spark, d, "analysis_caption")
-    return current_rows(t, "image_id", [c for c in t.columns if c not in ("image_id", "analyzed_at")])
+    return _current(spark, d, "analysis_caption")
 
 
 def perception(spark: SparkSession, d: str) -> DataFrame:
     """Current perception scores; what is no number between 0 and 10 is null."""
-    t = table(spark, d, "analysis_perception")
-    cur = current_rows(t, "image_id", [c for c in t.columns if c not in ("image_id", "analyzed_at")])
+    cur = _current(spark, d, "analysis_perception")
     for c in ("perception_iaa", "perception_iqa", "perception_ista"):
         cur = cur.withColumn(c, F.when(~F.isnan(c) & F.col(c).between(0, 10), F.col(c)))
     return cur
