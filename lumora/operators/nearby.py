@@ -27,6 +27,10 @@ from lumora.tables import current_rows, table, usable_number
 EARTH_RADIUS_M = 6_371_000.0
 
 
+#: Keys of one position that a block holds when pairs of keys are formed.
+PLACE_KEYS = 2000
+
+
 def valid_position(lat: Column, lng: Column) -> Column:
     """Both numbers there, in range, and not both zero."""
     ok = usable_number(lat) & usable_number(lng) & lat.between(-90, 90) & lng.between(-180, 180)
@@ -210,16 +214,27 @@ def near_pairs(
 
     tasks = max(1, min(n_leaves, 4 * max(spark.sparkContext.defaultParallelism, n_leaves // 8)))
     place_pairs = copies.repartition(tasks, "leaf").mapInArrow(search, f"_pa {key_type}, _pb {key_type}")
-    members = pts.join(places.select("_lat", "_lng", "_place"), ["_lat", "_lng"]).select("_key", "_place")
-    # only places with several keys need expanding on either side
-    ab = place_pairs.join(members.select(F.col("_key").alias("_a"), F.col("_place").alias("_pa")), "_pa").join(
-        members.select(F.col("_key").alias("_b"), F.col("_place").alias("_pb")), "_pb"
-    )
-    crowded = places.filter("_n > 1").select("_place")
-    shared = members.join(crowded, "_place", "left_semi")
-    same = shared.select(F.col("_key").alias("_a"), "_place").join(
-        shared.select(F.col("_key").alias("_b"), "_place"), "_place"
-    ).filter("_a < _b")
+    members = pts.join(places.select("_lat", "_lng", "_place", "_n"), ["_lat", "_lng"])
+    # the keys of a crowded place go out in blocks, so that no task holds all of them
+    blocks = F.ceil(F.col("_n") / PLACE_KEYS).cast("int")
+    members = members.withColumn("_block", F.pmod(F.xxhash64("_key"), blocks).cast("int"))
+    large = cut(places.filter(F.col("_n") > PLACE_KEYS).select("_place", blocks.alias("_blocks")))
+    crowds = bool(large.head(1))
+
+    def expand(pairs: DataFrame, place: str, name: str) -> DataFrame:
+        """Pairs of places with the keys of one side in place of ``place``."""
+        own = members.select(F.col("_key").alias(name), F.col("_place").alias(place), "_block")
+        if not crowds:
+            return pairs.join(own.drop("_block"), place).drop(place)
+        sized = pairs.join(large.withColumnRenamed("_place", place), place, "left")
+        every = sized.withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+        return every.join(own, [place, "_block"]).drop(place, "_block")
+
+    ab = expand(expand(place_pairs, "_pa", "_a"), "_pb", "_b")
+    # the keys of one place: each meets the blocks of all
+    shared = members.filter("_n > 1")
+    left = shared.select(F.col("_key").alias("_a"), "_place", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    same = left.join(shared.select(F.col("_key").alias("_b"), "_place", "_block"), ["_place", "_block"]).filter("_a < _b")
     return ab.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).unionByName(
         same.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     )

@@ -121,10 +121,23 @@ def impure_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster_purity(spark, d).filter("purity < 0.75 and n >= 3").orderBy("purity", "label")
 
 
+#: Labels that may be held against everything at once, 8 bytes a number each.
+MOST_LABELS = 10_000
+
+
+def few_labels(centroids: DataFrame) -> DataFrame:
+    """``centroids`` of a checked number; beyond it, the neighbour graph is the way."""
+    n = centroids.limit(MOST_LABELS + 1).count()
+    if n > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels to compare with")
+    return centroids
+
+
 @query("link_suggestions", f"WITH {_CEN}, x AS (SELECT a.label AS label_a, b.label AS label_b, round(list_cosine_similarity(a.centroid, b.centroid), 6) AS similarity FROM c a, c b WHERE a.label <> b.label) SELECT label_a, arg_max(label_b, {{'s': similarity, 'l': -label_b}}) AS label_b, max(similarity) AS similarity FROM x GROUP BY 1")
 def link_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """The label nearest to each label by centroid; labels are few and broadcast only below Spark's size limit."""
     c = vector_sum(_unit_vectors(spark, d), "label", "v", 64)
+    c = few_labels(c)
     a, b = c.select(F.col("label").alias("label_a"), F.col("centroid").alias("ca")), c.select(F.col("label").alias("label_b"), F.col("centroid").alias("cb"))
     x = a.join(b, F.col("label_a") != F.col("label_b")).withColumn("similarity", F.round(cosine(F.col("ca"), F.col("cb")), 6))
     return x.groupBy("label_a").agg(F.max_by("label_b", F.struct("similarity", -F.col("label_b"))).alias("label_b"), F.max("similarity").alias("similarity"))
@@ -144,7 +157,7 @@ def match_threshold(spark: SparkSession, d: str) -> DataFrame:
     """V9: the best label of each vector, or Unknown below 0.40."""
     u = _unit_vectors(spark, d)
     c = vector_sum(u, "label", "v", 64).select(F.col("label").alias("l"), "centroid")
-    x = u.join(F.broadcast(c.limit(10_000))).withColumn("sim", F.round(cosine(F.col("v"), F.col("centroid")), 6))
+    x = u.join(F.broadcast(few_labels(c))).withColumn("sim", F.round(cosine(F.col("v"), F.col("centroid")), 6))
     g = x.groupBy("vec_id").agg(F.max(F.struct("sim", -F.col("l"))).alias("m"))
     best = (-F.col("m")["col2"]).cast("string")
     return g.select("vec_id", F.when(F.col("m.sim") >= 0.4, best).otherwise("Unknown").alias("match"), F.col("m.sim").alias("similarity"))

@@ -15,8 +15,9 @@ def brute(rows, r):
     return out
 
 
-@pytest.mark.parametrize("leaf", [5, 4000])
-def test_pairs_against_brute_force(spark, leaf):
+@pytest.mark.parametrize("leaf, keys", [(5, 2000), (4000, 7)])
+def test_pairs_against_brute_force(spark, monkeypatch, leaf, keys):
+    monkeypatch.setattr(nb, "PLACE_KEYS", keys)
     rng = np.random.default_rng(3)
     rows = []
     for i in range(240):
