@@ -10,6 +10,7 @@ MODULES = [
     "lumora.operators.geo",
     "lumora.operators.library",
     "lumora.operators.search",
+    "lumora.operators.pipeline",
     "lumora.operators.people",
     "lumora.operators.fleet",
     "lumora.operators.story",

@@ -26,6 +26,23 @@ class SearchRequest:
     month_day: str | None = None
     time_of_day: str | None = None
     ranges: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
+    should: tuple[str, ...] = ()
+    expanded: tuple[str, ...] = ()
+    faces: tuple[str, ...] = ()
+    face_match: str = "all"
+    has_people: bool | None = None
+    similar_to: int | None = None
+    semantic_profile: str = "balanced"
+
+    def terms(self) -> list[str]:
+        """Required terms, the query, optional terms, then expanded ones not yet there; eight at most."""
+        out = [*self.must, *([self.query] if self.query else []), *self.should]
+        seen = {t.casefold() for t in out}
+        for t in self.expanded:
+            if t.casefold() not in seen:
+                seen.add(t.casefold())
+                out.append(t)
+        return out[:8]
 
     @classmethod
     def parse(cls, raw: dict) -> SearchRequest:
@@ -48,7 +65,14 @@ class SearchRequest:
         for k, v in (raw.get("ranges") or {}).items():
             lo, hi = v
             ranges[str(k)] = (None if lo is None else float(lo), None if hi is None else float(hi))
-        return cls(str(raw.get("query", "")).strip(), mode, sort, limit, offset, weight, tuple(dict.fromkeys(terms))[:8], day, part, ranges)
+        match, similar, people = raw.get("face_match", "all"), raw.get("similar_to"), raw.get("has_people")
+        if match not in ("all", "any") or isinstance(similar, bool) or not isinstance(similar, int | None) or not isinstance(people, bool | None):
+            raise ValueError("face_match must be all or any, similar_to an integer, has_people true or false")
+        names = lambda k: tuple(dict.fromkeys(str(t).strip() for t in raw.get(k) or [] if str(t).strip()))
+        return cls(
+            str(raw.get("query", "")).strip(), mode, sort, limit, offset, weight, tuple(dict.fromkeys(terms))[:8], day, part, ranges,
+            names("should"), names("expanded"), names("faces"), match, people, similar, str(raw.get("semantic_profile", "balanced")),
+        )
 
 
 def plan_text(df: DataFrame) -> str:

@@ -116,3 +116,31 @@ def test_writers(spark, tmp_path):
 def test_name_spans():
     assert curation.spans("photos of Anna Bell and Tom in rain", ["Anna", "Anna Bell", "Tom"]) == (["Anna Bell", "Tom"], "in rain")
     assert curation.spans("a tomato", ["Tom"]) == ([], "a tomato")
+
+
+def test_query_terms():
+    from lumora.operators import pipeline as p
+
+    assert p.quoted_phrases("a \"Stone  bridge\" 'stone bridge' 'x' \"\"") == ["Stone bridge", "x"]
+    assert p.safe_match('old* OR (near: "x-y")') == '"old" AND "or" AND "near" AND "x" AND "y"'
+    c = p.channels_of('the old "stone bridge"')
+    assert c["strict"] == [["the"], ["old"], ["stone"], ["bridge"]] and c["phrase"] == [["stone", "bridge"]]
+    assert c["trigram"] == [["the", "old", "stone"], ["old", "stone", "bridge"]] and c["soft"] == [["stone"], ["bridge"]]
+    assert list(p.channels_of("market")) == ["strict"] and p.channels_of(" - ") == {}
+    r = SearchRequest.parse({"query": "b", "must": ["A"], "should": ["c"], "expanded": ["B", "d"], "faces": ["X", "X"]})
+    assert r.terms() == ["a", "b", "c", "d"] and r.faces == ("X",)
+    with pytest.raises(ValueError):
+        SearchRequest.parse({"similar_to": "7"})
+
+
+def test_search_pages_and_stored_index(spark, small, tmp_path):
+    from lumora.operators import pipeline as p
+
+    docs = p.store_index(spark, small, str(tmp_path / "index"))
+    whole = p.search(spark, small, SearchRequest.parse({"query": "the picture", "mode": "text", "limit": 20}), docs=docs).collect()
+    second = p.search(spark, small, SearchRequest.parse({"query": "the picture", "mode": "text", "limit": 10, "offset": 10}), docs=docs).collect()
+    by = {r.position: r.image_id for r in whole}
+    assert len(by) == len(whole) > 10 and all(by[r.position] == r.image_id for r in second) and min(r.position for r in second) == 11
+    assert p.search(spark, small, SearchRequest.parse({"query": "zzzqqq", "mode": "text"}), docs=docs).count() == 0
+    with pytest.raises(ValueError):
+        p.search(spark, small, SearchRequest.parse({"mode": "browse", "ranges": {"nothing": (1, 2)}}), docs=docs)
