@@ -12,6 +12,7 @@ MODULES = [
     "lumora.operators.search",
     "lumora.operators.pipeline",
     "lumora.operators.people",
+    "lumora.operators.suggest",
     "lumora.operators.fleet",
     "lumora.operators.story",
     "lumora.operators.curation",

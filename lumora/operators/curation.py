@@ -140,10 +140,27 @@ def chapter_narrative(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("album", "chapter").agg(F.array_join(F.transform(first, lambda v: v["x"]), " ").alias("narrative"))
 
 
-@query("keyword_normalise", f"WITH {SQL_CAP} SELECT image_id, len(regexp_extract_all(lower(coalesce(keywords, '')), '[\\p{{L}}\\p{{N}}_]+')) AS words FROM cap".replace("{{", "{").replace("}}", "}"))
+_LIST = "CASE WHEN json_valid(keywords) AND starts_with(trim(keywords), '[') THEN from_json(keywords, '[\"VARCHAR\"]') ELSE string_split(keywords, ',') END"
+
+
+def keyword_list(text: Column) -> Column:
+    """Entries of a JSON list, or of a list with commas, trimmed, without blanks, each once in order."""
+    listed = F.when(F.startswith(F.trim(text), F.lit("[")), F.from_json(text, "array<string>", {"allowSingleQuotes": "false"}))
+    parts = F.coalesce(listed, F.split(text, ","))
+    return F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+
+
+@query("keyword_normalise", f"WITH {SQL_CAP} SELECT image_id, len(list_distinct(list_filter(list_transform({_LIST}, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> ''))) AS entries, list_filter(list_transform({_LIST}, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '')[1] AS first FROM cap WHERE keywords IS NOT NULL")
 def keyword_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a keyword field in whatever notation."""
-    return captions(spark, d).select("image_id", F.size(tokens(F.col("keywords"))).alias("words"))
+    """Distinct entries of each keyword field, and the first."""
+    k = captions(spark, d).filter("keywords is not null").select("image_id", keyword_list(F.col("keywords")).alias("k"))
+    return k.select("image_id", F.size("k").alias("entries"), F.get("k", F.lit(0)).alias("first"))
+
+
+@query("scan_ordered", "SELECT DISTINCT image_id FROM images ORDER BY image_id")
+def scan_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Every image id, in order."""
+    return table(spark, d, "images").select("image_id").distinct().orderBy("image_id")
 
 
 @query("incomplete_metadata", f"WITH {SQL_META} SELECT count(*) AS images FROM meta WHERE camera_make IS NOT NULL AND date_time_original IS NULL AND lens_model IS NULL")

@@ -180,6 +180,40 @@ def together(person_ids: list[int]) -> dict:
     return {"match": "all", "rules": [{"type": "person", "person_ids": person_ids, "match": "all"}]}
 
 
+def person_timeline(person_id: int) -> dict:
+    """Preset: every image of a person; the growth story is the same album told year by year."""
+    return {"match": "all", "rules": [{"type": "person", "person_ids": [person_id], "match": "any"}]}
+
+
+def location_story(country: str) -> dict:
+    """Preset: every image of a country."""
+    return {"match": "all", "rules": [{"type": "location", "country": country}]}
+
+
+@query("preset_year_in_review", f"WITH {SQL_META} SELECT image_id FROM meta WHERE year(taken) = 2019")
+def preset_year_in_review(spark: SparkSession, d: str) -> DataFrame:
+    """A year in review."""
+    return Rules(spark, d).evaluate(year_in_review(2019))
+
+
+@query("preset_location", f"WITH {SQL_META} SELECT image_id FROM meta WHERE location_country = 'Lusara'")
+def preset_location(spark: SparkSession, d: str) -> DataFrame:
+    """A place."""
+    return Rules(spark, d).evaluate(location_story("Lusara"))
+
+
+@query("preset_person_timeline", f"WITH {SQL_FACE} SELECT DISTINCT image_id FROM face WHERE {_Q_FACES} AND person_id = 1")
+def preset_person_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The story of a person."""
+    return Rules(spark, d).evaluate(person_timeline(1))
+
+
+@query("preset_together", f"WITH {SQL_FACE} SELECT image_id FROM face WHERE {_Q_FACES} AND person_id IN (1, 3) GROUP BY 1 HAVING count(DISTINCT person_id) = 2")
+def preset_together(spark: SparkSession, d: str) -> DataFrame:
+    """Images of two persons together."""
+    return Rules(spark, d).evaluate(together([1, 3]))
+
+
 @query("preset_on_this_day", f"WITH {SQL_META} SELECT image_id FROM meta WHERE strftime(taken, '%m-%d') = '07-14' AND year(taken) BETWEEN 2015 AND 2024")
 def preset_on_this_day(spark: SparkSession, d: str) -> DataFrame:
     """The same day of ten years."""
@@ -251,10 +285,14 @@ _MOM = f"""WITH {SQL_META}, {SQL_PER}, pts AS (SELECT location_country AS album,
   ch AS (SELECT *, sum(nw) OVER (PARTITION BY album ORDER BY start_t, moment)::BIGINT AS chapter FROM cn)"""
 
 
-@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat + 1e-9, 6) AS lat, round(lng + 1e-9, 6) AS lng FROM mt')
+_UNTIMED = "SELECT album, 0 AS moment, count(*) AS images, NULL::TIMESTAMP AS start, NULL::TIMESTAMP AS \"end\", round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM pts WHERE taken IS NULL GROUP BY 1"
+
+
+@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat, 6) AS lat, round(lng, 6) AS lng FROM mt UNION ALL {_UNTIMED}')
 def moments_q(spark: SparkSession, d: str) -> DataFrame:
-    """Moments of each album."""
-    return moment_table(timeline(spark, d)).select("album", "moment", "images", "start", "end", F.round(F.col("lat") + 1e-9, 6).alias("lat"), F.round(F.col("lng") + 1e-9, 6).alias("lng"))
+    """Moments of each album; images without a time are moment 0."""
+    m = moment_table(cut(moments(album_points(spark, d))))
+    return m.select("album", "moment", "images", "start", "end", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 @query("chapters", f'{_MOM} SELECT album, chapter, count(*) AS moments, sum(images)::BIGINT AS images, min(start) AS start, max("end") AS "end" FROM ch GROUP BY 1, 2')
