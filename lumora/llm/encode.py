@@ -167,22 +167,32 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -
 
         words_of = regex.compile(PATTERN).findall
         coder: WordEncoder | None = None
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
+        # ids of all known words, one after the other, with the start and length of each
+        pool, start_of, length_of = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
         def flush(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
-            nonlocal coder
+            nonlocal coder, pool, start_of, length_of
             cut = [words_of(t) if t else [] for t in texts]
             new = {w for words in cut for w in words if w not in known}
             if new:
                 coder = coder or WordEncoder(path)
                 todo = list(new)
-                known.update(zip(todo, coder.encode(todo)))
-            parts = [known[w] for words in cut for w in words]
-            sizes = np.array([sum(len(known[w]) for w in words) for words in cut], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+                coded = coder.encode(todo)
+                known.update(zip(todo, range(len(known), len(known) + len(todo))))
+                size = np.array([len(c) for c in coded], np.int64)
+                start_of = np.concatenate([start_of, len(pool) + np.cumsum(size) - size])
+                length_of = np.concatenate([length_of, size])
+                pool = np.concatenate([pool, *coded]).astype(np.int32)
+            words_in = np.array([len(words) for words in cut], np.int64)
+            at = np.fromiter((known[w] for words in cut for w in words), np.int64, int(words_in.sum()))
+            size = length_of[at]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = pool[np.repeat(start_of[at] - ends[:-1], size) + np.arange(ends[-1])]
+            offsets = ends[np.concatenate([[0], np.cumsum(words_in)])].astype(np.int32)
             if len(known) > _MEMORY:
                 known.clear()
+                pool, start_of, length_of = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "ids"])
 
         for b in batches:
