@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.registry import query
+from lumora.session import cut
 from lumora.tables import current_rows, table
 
 #: Interpretations, by bit. Only the first four can hold together.
@@ -229,7 +230,7 @@ def normalise_timestamps(
     ``source`` is a source of its own.
     """
     k = len(FORMATS)
-    d = read_candidates(df, text, conventions)
+    d = cut(read_candidates(df, text, conventions))  # read once: counts and results both start from it
     d = d.withColumn("_src", F.coalesce(source.cast("string"), F.lit("")))
     unclear = F.size(F.array_distinct(F.filter(F.col("_ts.at"), lambda x: x.isNotNull()))) > 1
     # the mixture matters only to values with more than one reading
