@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,13 +148,16 @@ def document_stats(df: DataFrame, key: str, text: str) -> DataFrame:
         f"{c} {'long' if c.startswith('n_') else 'double'}" for c in _COLUMNS
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, *s) for k, t in zip(b["_key"], b["_text"]) if (s := text_stats(t)) is not None]
-            yield pd.DataFrame(rows, columns=["key", *_COLUMNS])
+            got = [text_stats(t) for t in b["_text"].to_pylist()]
+            there = [i for i, s in enumerate(got) if s is not None]
+            cols = zip(*[got[i] for i in there]) if there else [()] * len(_COLUMNS)
+            arrays = [pa.array(c, pa.int64() if n.startswith("n_") else pa.float64()) for n, c in zip(_COLUMNS, cols)]
+            yield pa.RecordBatch.from_arrays([b["_key"].take(pa.array(there, pa.int64())), *arrays], names=["key", *_COLUMNS])
 
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 #: Inspected examples by kind, written for this purpose; only to name components.
@@ -222,11 +226,12 @@ class Mixture:
         return p / p.sum(1, keepdims=True)
 
 
-def fit_mixture(stats: DataFrame, components: int = 14, iterations: int = 12, floor: float = 0.02, start_rows: int = 4000) -> Mixture | None:
+def fit_mixture(stats: DataFrame, components: int = 14, iterations: int = 12, floor: float = 0.02, start_rows: int = 4000, still: float = 0.02) -> Mixture | None:
     """EM over all rows of ``stats``; None if it has none.
 
     Means start from a k-means++ choice among at most ``start_rows`` rows taken
-    by hash; each of the ``iterations`` runs over all documents. ``floor`` is
+    by hash; each of at most ``iterations`` runs over all documents, and they
+    end when the mean log-likelihood rises by less than ``still``. ``floor`` is
     added to the variances, in standardised units, so that a statistic that is
     constant in a component keeps a width.
     """
@@ -252,6 +257,7 @@ def fit_mixture(stats: DataFrame, components: int = 14, iterations: int = 12, fl
     k = len(mu)
     model = Mixture(mean, scale, np.full(k, 1.0 / k), mu, np.tile(np.eye(d) * 0.5, (k, 1, 1)))
     size = k * (1 + d + d * d) + 1
+    before = -math.inf
     for _ in range(iterations):
 
         def sums(batches: Iterator[pd.DataFrame], m: Mixture = model) -> Iterator[pd.DataFrame]:
@@ -284,6 +290,9 @@ def fit_mixture(stats: DataFrame, components: int = 14, iterations: int = 12, fl
         ev, vec = np.linalg.eigh(cov)
         cov = np.einsum("kij,kj,klj->kil", vec, np.maximum(ev, floor / 2), vec)
         model = Mixture(mean, scale, n / n.sum(), mu, cov)
+        if acc[0] / row[0] - before < still:
+            break
+        before = acc[0] / row[0]
     return model
 
 
