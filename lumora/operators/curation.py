@@ -100,11 +100,11 @@ def person_relink(spark: SparkSession, d: str) -> DataFrame:
     return faces(spark, d, "person_id", "cluster_id").groupBy(p.alias("person_id")).agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query("identity_summary", f"WITH {SQL_FACE} SELECT lower(trim(identity_name)) AS identity, count(DISTINCT image_id) AS images, count(*) AS faces, round(avg(det_score), 6) AS score FROM face WHERE trim(identity_name) <> '' GROUP BY 1")
+@query("identity_summary", f"WITH {SQL_FACE} SELECT lower(trim(identity_name)) AS identity, count(DISTINCT image_id) AS images, count(*) AS faces, round(avg(det_score), 10) AS score FROM face WHERE trim(identity_name) <> '' GROUP BY 1")
 def identity_summary(spark: SparkSession, d: str) -> DataFrame:
     """Names in any case with their images and faces."""
     f = faces(spark, d, "image_id", "identity_name", "det_score").filter("trim(identity_name) <> ''")
-    return f.groupBy(F.lower(F.trim("identity_name")).alias("identity")).agg(F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("faces"), F.round(F.avg("det_score"), 6).alias("score"))
+    return f.groupBy(F.lower(F.trim("identity_name")).alias("identity")).agg(F.count_distinct("image_id").alias("images"), F.count(F.lit(1)).alias("faces"), F.round(F.avg("det_score"), 10).alias("score"))
 
 
 def spans(text: str, names: list[str]) -> tuple[list[str], str]:

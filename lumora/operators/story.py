@@ -285,14 +285,14 @@ _MOM = f"""WITH {SQL_META}, {SQL_PER}, pts AS (SELECT location_country AS album,
   ch AS (SELECT *, sum(nw) OVER (PARTITION BY album ORDER BY start_t, moment)::BIGINT AS chapter FROM cn)"""
 
 
-_UNTIMED = "SELECT album, 0 AS moment, count(*) AS images, NULL::TIMESTAMP AS start, NULL::TIMESTAMP AS \"end\", round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM pts WHERE taken IS NULL GROUP BY 1"
+_UNTIMED = "SELECT album, 0 AS moment, count(*) AS images, NULL::TIMESTAMP AS start, NULL::TIMESTAMP AS \"end\", round(avg(lat), 10) AS lat, round(avg(lng), 10) AS lng FROM pts WHERE taken IS NULL GROUP BY 1"
 
 
-@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat, 6) AS lat, round(lng, 6) AS lng FROM mt UNION ALL {_UNTIMED}')
+@query("moments", f'{_MOM} SELECT album, moment, images, start, "end", round(lat, 10) AS lat, round(lng, 10) AS lng FROM mt UNION ALL {_UNTIMED}')
 def moments_q(spark: SparkSession, d: str) -> DataFrame:
     """Moments of each album; images without a time are moment 0."""
     m = moment_table(cut(moments(album_points(spark, d))))
-    return m.select("album", "moment", "images", "start", "end", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+    return m.select("album", "moment", "images", "start", "end", F.round("lat", 10).alias("lat"), F.round("lng", 10).alias("lng"))
 
 
 @query("chapters", f'{_MOM} SELECT album, chapter, count(*) AS moments, sum(images)::BIGINT AS images, min(start) AS start, max("end") AS "end" FROM ch GROUP BY 1, 2')
