@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.vec import cosine
-from lumora.operators.people import vector_sum
 from lumora.registry import query
 from lumora.tables import table
 
@@ -36,7 +35,18 @@ def newest_centroids(f: DataFrame, newest: int = NEWEST) -> DataFrame:
     """
     w = Window.partitionBy("cluster_id").orderBy(F.desc("created_at"), F.desc("id"))
     top = f.filter("cluster_id is not null").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= newest)
-    return vector_sum(top, "cluster_id", "v", DIM)
+    return mean_vectors(top, "cluster_id")
+
+
+def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, centroid): mean vector of each key, element by element.
+
+    One aggregate over (key, element) stays inside generated code at this
+    width, which one aggregate an element does not; it is partial in each task.
+    """
+    each = rows.select(key, F.posexplode("v").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    return whole.select(key, "n", F.transform("c", lambda x: x["m"]).alias("centroid"))
 
 
 def farthest(vectors: list[list[float]], k: int) -> list[int]:
@@ -80,7 +90,7 @@ def person_images(spark: SparkSession, d: str, person: int, limit: int = 50) ->
     """V8: images not linked to a person whose best face is near the person's mean: (image_id, similarity)."""
     f = face_vectors(spark, d, "image_id", "person_id")
     mine = f.filter(F.col("person_id") == person)
-    c = vector_sum(mine, "person_id", "v", DIM).select("centroid")
+    c = mean_vectors(mine, "person_id").select("centroid")
     s = f.join(mine.select("image_id").distinct(), "image_id", "left_anti").join(F.broadcast(c)).select("image_id", cosine(F.col("v"), F.col("centroid")).alias("s"))
     best = s.groupBy("image_id").agg(F.round(F.max("s"), 5).alias("similarity")).filter(F.col("similarity") >= NEAR)
     return best.orderBy(F.desc("similarity"), "image_id").limit(limit)
@@ -139,6 +149,6 @@ def purity_first_20(spark: SparkSession, d: str) -> DataFrame:
     f = face_vectors(spark, d, "cluster_id").filter("cluster_id is not null")
     n = f.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("faces")).filter("faces >= 3")
     first = f.withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))).filter("rn <= 20").join(n, "cluster_id")
-    c = vector_sum(first, "cluster_id", "v", DIM).select("cluster_id", "centroid")
+    c = mean_vectors(first, "cluster_id").select("cluster_id", "centroid")
     s = first.join(c, "cluster_id").groupBy("cluster_id").agg(F.max("faces").alias("faces"), F.round(F.min(cosine(F.col("v"), F.col("centroid"))), 4).alias("purity"))
     return s.filter("purity < 0.75")
