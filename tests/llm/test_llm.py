@@ -299,6 +299,30 @@ def test_many_groups_in_a_large_node(spark, monkeypatch):
     assert t.shape == (12, 12) and (t > 0).sum(axis=1).max() == 1 and min(c for _, c in got.values()) > 0
 
 
+def test_local_does_not_change_clusters(spark, monkeypatch):
+    """Noisy groups, some of which overlap, in one root: the same rows whatever a task may finish."""
+    rng = np.random.default_rng(5)
+    label = np.repeat(np.arange(4), [35, 25, 15, 10])
+    centres = rng.standard_normal((4, 512))
+    centres[1] += 0.9 * centres[0]
+    centres[3] += 0.9 * centres[2]
+    x = centres[label] + rng.uniform(1.0, 1.3, (len(label), 1)) * rng.standard_normal((len(label), 512))
+    bits = np.packbits(x @ rng.standard_normal((512, neighbours.ALL_BITS)) > 0, axis=1)
+    sketches = spark.createDataFrame([(int(i), v.tobytes()) for i, v in zip(rng.permutation(len(label)), bits)], "id long, bits binary").repartition(5)
+    sketches = neighbours.cut(sketches)
+    parts = sketches.select("id", F.lit(0).cast("long").alias("root"))
+    first = sketches.select(F.col("id").alias("a")).crossJoin(sketches.select(F.col("id").alias("b"))).filter("a < b")
+    monkeypatch.setattr(cluster, "linked_parts", lambda *a, **k: neighbours.Graph(None, sketches, None, parts, None, len(label), 1, first, None))
+    rows = lambda local: sorted(tuple(r) for r in cluster.clusters(sketches, "id", "bits", 512, local=local).collect())
+    whole = rows(cluster.LOCAL)
+    assert len(whole) == len(label) and 4 < len({c for _, c, _ in whole}) < 14
+    # small blocks take the leaves and rows of the root apart
+    monkeypatch.setattr(cluster, "ROW_BLOCK", 50)
+    monkeypatch.setattr(cluster, "LEAF_BLOCK", 4)
+    monkeypatch.setattr(cluster, "HOT", 5)
+    assert rows(40) == whole
+
+
 def test_partitions_keep_groups_after_a_join(spark):
     rows = neighbours.cut(spark.range(4000).select((F.col("id") % 200).alias("node"), "id").repartition(6))
     none = neighbours.cut(spark.range(1000, 1001).select(F.col("id").alias("node")))
